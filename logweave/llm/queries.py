@@ -7,6 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from logweave.functions.spark import table
 from logweave.llm.conversations import conversations
 from logweave.llm.knn import neighbour_pairs
+from logweave.llm.secrets import find_secrets, redact_secrets
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_secrets(table(spark, d, "sessions")).select("sid", "start_pos")
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_secrets(table(spark, d, "sessions"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +31,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "sessions"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_split, p6_found)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_split, p6_found)}
 
 SQL = {
     "p5_found": r"""
