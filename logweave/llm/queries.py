@@ -7,9 +7,18 @@ from pyspark.sql import DataFrame, SparkSession
 from logweave.functions.spark import table
 from logweave.llm.conversations import conversations
 from logweave.llm.knn import neighbour_pairs
+from logweave.llm.pii import find_pii, redact_pii
 from logweave.llm.secrets import find_secrets, redact_secrets
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_pii(table(spark, d, "sessions"), table(spark, d, "name_parts")).select("sid", "field_name", "pii_kind", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact_pii(table(spark, d, "sessions"), table(spark, d, "name_parts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return find_secrets(table(spark, d, "sessions")).select("sid", "start_pos")
 
@@ -31,7 +40,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "sessions"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_split, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_redacted, p5_found, p5_split, p6_found)}
 
 SQL = {
     "p5_found": r"""
