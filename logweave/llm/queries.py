@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from logweave.functions.spark import table
+from logweave.llm.bpe import build_lexicon, encode_texts
 from logweave.llm.conversations import conversations
 from logweave.llm.knn import neighbour_pairs
+from logweave.llm.packing import pack_texts
 from logweave.llm.pii import find_pii, redact_pii
 from logweave.llm.secrets import find_secrets, redact_secrets
 
@@ -40,7 +42,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbour_pairs(table(spark, d, "sessions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_redacted, p5_found, p5_split, p6_found)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "documents")
+    return encode_texts(texts, lexicon=build_lexicon(texts))
+
+
+def p9_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_texts(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_redacted, p5_found, p5_split, p6_found, p8_ids, p9_containers)}
 
 SQL = {
     "p5_found": r"""
