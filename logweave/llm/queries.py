@@ -11,6 +11,7 @@ from logweave.llm.knn import neighbour_pairs
 from logweave.llm.packing import pack_texts
 from logweave.llm.pii import find_pii, redact_pii
 from logweave.llm.secrets import find_secrets, redact_secrets
+from logweave.llm.subjects import composition, subjects_of
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +52,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_redacted, p5_found, p5_split, p6_found, p8_ids, p9_containers)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects_of(table(spark, d, "documents"), table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return composition(_subjects(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p3_found, p3_redacted, p5_found, p5_split, p6_found, p8_ids, p9_containers, p10_found, p10_composition)}
 
 SQL = {
     "p5_found": r"""
