@@ -3,8 +3,15 @@
 Vectors are parted into cells around centroids; what is left of a unit vector after its centroid
 is quantised to four bits per subspace with a score-aware loss, which punishes the part of the
 error that is parallel to the vector, since that is the part that changes large inner products.
-A query scans the codes of its cell and of the nearest other cells through lookup tables; what
-comes near its k best is scored again with the exact vectors in double precision.
+What comes near a query's k best by the codes is scored again with the exact vectors in double
+precision.
+
+Which cells a query needs is decided by a bound and not by a number: its k-th best exact score
+within its own block is reached for certain, and a cell is left out only if the triangle
+inequality (angle to the centroid less the cell's widest angle) keeps all its rows below that
+score.  So a group that fills many cells is scanned through all of them, at a cost that is
+quadratic in the group, and where cells are too wide for the bound, in the table.  A block holds
+several whole cells that lie together and scans the union of what its queries need.
 
 Only codes travel to the queries of other cells.  Exact vectors move once to their own block,
 and once more for those queries that have candidates in another block.  Cells are cut into
@@ -38,10 +45,10 @@ SMALL_EXTRAS = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    cell_size: int = 256  # rows aimed at per cell
+    cell_size: int = 16  # rows aimed at per cell; cells must be narrow for the bound to leave any out
     most_cells: int = 2048  # bounds the centroids, which go to every task (3 MB at 384 numbers)
-    probes: int = 12  # cells scanned for each query, its own included
-    block: int = 2048  # rows of a cell that one task holds
+    probes: int = 12  # without effect since the bound decides; still accepted
+    block: int = 2048  # rows that one task holds exactly
     sub_dim: int = 8  # numbers per four-bit code
     eta: float = 12.0  # weight of the parallel error
     sample: int = 16_384  # rows the centroids and codebooks are fitted on
@@ -53,7 +60,6 @@ class Index:
     """The fitted parts; their size is bounded by the settings alone."""
 
     centroids: np.ndarray  # cells x dim
-    near: np.ndarray  # cells x probes
     books: np.ndarray  # subspaces x 16 x sub_dim
     margin: float  # bound for the error of a code's score
 
@@ -72,6 +78,21 @@ def _means(x: np.ndarray, label: np.ndarray, k: int, old: np.ndarray) -> np.ndar
     return out
 
 
+def _seeds(x: np.ndarray, cells: int, rng: np.random.Generator, step: int = 16) -> np.ndarray:
+    """Rows far from each other, drawn by their squared distance to the ones drawn before."""
+    at = [int(rng.integers(len(x)))]
+    far = np.maximum(1 - x @ x[at[0]], 0).astype(np.float64)
+    while len(at) < cells:
+        far[at] = 0
+        left = np.count_nonzero(far)
+        if not left:
+            break
+        new = rng.choice(len(x), min(step, cells - len(at), left), replace=False, p=far / far.sum())
+        at.extend(new.tolist())
+        far = np.minimum(far, np.maximum(1 - (x @ x[new].T).max(1), 0))
+    return x[at].copy()
+
+
 def encode(x: np.ndarray, rest: np.ndarray, books: np.ndarray, eta: float, sweeps: int = 2) -> np.ndarray:
     """Codes of the residuals ``rest`` of the unit vectors ``x`` by coordinate descent on the anisotropic loss."""
     m, _, d = books.shape
@@ -122,13 +143,13 @@ def fit(sample: np.ndarray, rows: int, s: Settings) -> Index:
     x = _unit(sample).astype(np.float32)
     rng = np.random.default_rng(7)
     cells = int(np.clip(round(rows / s.cell_size), 1, min(s.most_cells, len(x))))
-    centroids = x[rng.permutation(len(x))[:cells]].copy()
+    centroids = _seeds(x, cells, rng)
+    cells = len(centroids)
     for _ in range(s.rounds):
         label = (x @ centroids.T).argmax(1)
         centroids = _means(x, label, cells, centroids)
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
     label = (x @ centroids.T).argmax(1)
-    near = np.argsort(-(centroids @ centroids.T), axis=1, kind="stable")[:, : s.probes]
     rest = x - centroids[label]
     m = x.shape[1] // s.sub_dim
     parts = rest.reshape(len(x), m, s.sub_dim)
@@ -150,7 +171,7 @@ def fit(sample: np.ndarray, rows: int, s: Settings) -> Index:
     top = np.argsort(-exact, axis=1)[:, :16]
     error = np.take_along_axis(q @ rough.T, top, 1) - np.take_along_axis(exact, top, 1)
     margin = float(abs(error.mean()) + 4 * error.std() + 1e-4)
-    return Index(centroids, near, books, margin)
+    return Index(centroids, books, margin)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -178,17 +199,66 @@ def _binary(x: np.ndarray) -> pa.Array:
 
 
 def _assign(rows: DataFrame, index: Index, s: Settings, dim: int) -> DataFrame:
-    """Adds the cell and the code; the vector becomes a binary."""
+    """Adds the cell, the code and the cosine to the centroid; the vector becomes a binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = _matrix(batch.column(1), dim)
             x = _unit(raw).astype(np.float32)
-            cell = (x @ index.centroids.T).argmax(1)
+            cosines = x @ index.centroids.T
+            cell = cosines.argmax(1)
             codes = encode(x, x - index.centroids[cell], index.books, s.eta)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(raw), pa.array(cell.astype(np.int32)), _binary(codes)], names=["id", "vec", "cell", "code"])
+            toward = cosines[np.arange(len(x)), cell].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(raw), pa.array(cell.astype(np.int32)), _binary(codes), pa.array(toward)], names=["id", "vec", "cell", "code", "toward"])
+
+    return rows.select("id", "vec").mapInArrow(run, "id string, vec binary, cell int, code binary, toward double")
+
+
+SLACK = 2e-3  # above the error of single precision in the bound
+
+
+def needed(x: np.ndarray, low: np.ndarray, centroids: np.ndarray, widest: np.ndarray) -> np.ndarray:
+    """Queries x cells: whether a row of the cell can reach ``low``; ``widest`` is the least cosine of a cell's rows to its centroid."""
+    a = np.clip(x @ centroids.T, -1, 1)
+    b = np.clip(widest, -1, 1)[None]
+    bound = np.where(a >= b, 1.0, a * b + np.sqrt(1 - a**2) * np.sqrt(1 - b**2))
+    return bound >= low[:, None] - SLACK
 
-    return rows.select("id", "vec").mapInArrow(run, "id string, vec binary, cell int, code binary")
+
+def _needs(index: Index, widest: np.ndarray, full: np.ndarray, k: int, dim: int):
+    """The cells that a block's queries need."""
+
+    def run(key, block):
+        x = _unit(_matrix(block["vec"], dim)).astype(np.float32)
+        hit = np.zeros(len(full), dtype=bool)
+        for a in range(0, len(x), 512):
+            q = x[a : a + 512]
+            score = q @ x.T
+            score[np.arange(len(q)), a + np.arange(len(q))] = -2
+            low = -np.partition(-score, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), -2.0)
+            hit |= needed(q, low, index.centroids, widest).any(0)
+        cells = np.flatnonzero(hit & full)
+        return pa.table({"blk": pa.array([key[0].as_py()] * len(cells), pa.int64()), "cell": pa.array(cells.astype(np.int32))})
+
+    return run
+
+
+def _blocks(sizes: dict[int, int], centroids: np.ndarray, s: Settings) -> dict[int, tuple[int, int]]:
+    """By cell: its first block and how many it has.  The cells nearest to one share its block while they fit."""
+    out: dict[int, tuple[int, int]] = {}
+    start = 0
+    for c in sorted(sizes):
+        if c in out:
+            continue
+        parts = -(-sizes[c] // s.block)
+        out[c], room = (start, parts), s.block - sizes[c]
+        if parts == 1:
+            for o in np.argsort(-(centroids @ centroids[c]), kind="stable").tolist():
+                if o in sizes and o not in out and sizes[o] <= room:
+                    out[o] = (start, 1)
+                    room -= sizes[o]
+        start += parts
+    return out
 
 
 def _scan(index: Index, s: Settings, k: int, dim: int):
@@ -309,23 +379,19 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "sid", vec_col: str =
     index = fit(_matrix(sample["vec"], dim), rows, s)
 
     placed = cut(_assign(good, index, s, dim))
-    sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most most_cells rows
-    blocks = {c: -(-n // s.block) for c, n in sizes.items()}
-    start, blk_of = 0, {}
-    for c in sorted(blocks):
-        blk_of[c] = (start, blocks[c])
-        start += blocks[c]
-    # By cell: its first block, how many it has, and the blocks whose queries scan it.
-    seen: dict[int, list[int]] = {c: [] for c in blk_of}
-    for c in blk_of:
-        mine = range(blk_of[c][0], sum(blk_of[c]))
-        for near in index.near[c]:
-            if int(near) in seen:
-                seen[int(near)].extend(mine)
-    plan = spark.createDataFrame([(c, *blk_of[c], seen[c]) for c in sorted(blk_of)], "cell int, start long, parts long, seen array<long>")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("toward").alias("widest")).collect()  # at most most_cells rows
+    sizes = {r.cell: r.n for r in cells}
+    widest, full = np.ones(len(index.centroids)), np.zeros(len(index.centroids), dtype=bool)
+    for r in cells:
+        widest[r.cell], full[r.cell] = r.widest, True
+    blk_of = _blocks(sizes, index.centroids, s)
+    plan = spark.createDataFrame([(c, *blk_of[c]) for c in sorted(blk_of)], "cell int, start long, parts long")
     placed = placed.join(F.broadcast(plan), "cell").withColumn("blk", F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts")))
     queries = placed.select("blk", "id", "vec")
-    codes = placed.select(F.explode("seen").alias("blk"), F.col("cell").alias("cell"), F.col("id").alias("id"), F.col("blk").alias("src"), F.col("code").alias("code"))
+    pairs = queries.select("blk", "vec").groupBy("blk").applyInArrow(_needs(index, widest, full, k, dim), "blk bigint, cell int")
+    seen = pairs.groupBy("cell").agg(F.collect_set("blk").alias("seen"))
+    codes = placed.select("cell", "id", F.col("blk").alias("src"), "code").join(seen, "cell")
+    codes = codes.select(F.explode("seen").alias("blk"), F.col("cell").alias("cell"), F.col("id").alias("id"), F.col("src").alias("src"), F.col("code").alias("code"))
     scanned = cut(queries.groupBy("blk").cogroup(codes.groupBy("blk")).applyInArrow(_scan(index, s, k, dim), SCAN_SCHEMA))
     away = scanned.where("blk IS NOT NULL").select("blk", "id", "others", "vec")
     exact = away.groupBy("blk").cogroup(queries.groupBy("blk")).applyInArrow(_rerank(dim), "id string, other string, score double")

@@ -94,3 +94,16 @@ def test_pii_tokens():
     t = crf.tokenize(["IlvitaVelmora 12ab é_x", ""])
     assert [t.text(i) for i in range(len(t.start))] == ["Ilvita", "Velmora", "12", "ab", "é", "_", "x"]
     assert pa.array(t.doc).to_pylist() == [0] * 7
+
+
+def test_knn_group_over_many_cells(spark):
+    """One tight group fills far more cells than were ever probed; no neighbour may be lost."""
+    rng = np.random.default_rng(4)
+    x = (np.ones(16) + 0.4 * rng.normal(size=(1200, 16))).astype(np.float32)
+    df = spark.createDataFrame([(f"s{i:04d}", [float(v) for v in row]) for i, row in enumerate(x)], "sid string, embedding array<float>")
+    got = {(r.id, r.other) for r in knn.nearest(df, 3, dim=16, settings=knn.Settings(cell_size=10, probes=3, block=64)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(f"s{i:04d}", f"s{j:04d}") for i in range(1200) for j in np.argsort(-s[i], kind="stable")[:3]}
+    assert len(got & want) > 0.995 * len(want)
