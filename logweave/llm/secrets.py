@@ -2,9 +2,10 @@
 
 A scanner reads the text as the configuration and command formats it may hold (assignments, JSON
 and YAML members, XML attributes and elements, headers, URLs, netrc lines, command options) and
-gives key paths with the byte offsets of their values; blocks and bracketed names add to the
-path.  A value is a secret if its path ends in a sensitive name and its shape is that of a
-password or a token, or if its shape alone gives it away.  Redactions are spliced into the
+gives key paths with the byte offsets of their values; nested braces, YAML indentation, INI
+sections, TOML tables and name/value pairs add to the path.  A value is a secret if a name on its
+path is sensitive and its shape is that of a password or a token (below a sensitive parent, plain
+leaves such as ``type`` or ``host`` excepted), or if its shape alone gives it away.  Redactions are spliced into the
 original bytes, so everything else stays as it was.
 
 Defined results: null and empty texts hold nothing (and stay as they are); a placeholder, masked
@@ -51,7 +52,15 @@ USERINFO = re.compile(rb"\b[a-z][a-z0-9+.-]*://[^\s/:@\"'<>]*:(?P<bv>[^\s/\"'<>]
 QUERY = re.compile(rb"[?&;](?P<key>[\w.-]+)=(?P<bv>[^&\s\"'<>#]+)")
 XML_ATTR = re.compile(rb"<\w+[^<>]*?\b(?:key|name)\s*=\s*[\"'](?P<key>[\w.:-]+)[\"'][^<>]*?\bvalue\s*=\s*[\"'](?P<bv>[^\"']*)[\"']", re.I)
 XML_ELEMENT = re.compile(rb"<(?P<key>[\w.:-]+)>(?P<bv>[^<>\s]+)</(?P=key)>")
-BLOCK = re.compile(rb"\{(?P<body>[^{}]*)\}")
+BRACE = re.compile(rb"[{}]")
+YAML_PARENT = re.compile(rb"^(?P<indent>[ \t]*(?:- +)?)[\"']?(?P<key>[A-Za-z_][\w.-]*)[\"']?:[ \t]*(?:#[^\n]*)?\r?\n(?=[ \t]*\S)", re.M)
+SECTION = re.compile(rb"^[ \t]*\[{1,2}[ \t]*(?P<key>[A-Za-z_][\w.\" -]*?)[ \t]*\]{1,2}[ \t]*(?:[#;][^\n]*)?\r?$", re.M)
+SECTION_LINE = re.compile(rb"[ \t]*(?:[#;][^\n]*|[\w.\"'-]+[ \t]*[=:][^\n]*)?\r?(?:\n|\Z)")
+_NAME_OF = rb"[\"']?\b(?:name|key)\b[\"']?\s*[:=]\s*[\"']?(?P<key>[A-Za-z_][\w.-]*)[\"']?"
+_VALUE_OF = rb"[\"']?\bvalue\b[\"']?\s*[:=]\s*" + _VALUE
+NAMED_VALUES = (re.compile(_NAME_OF + rb"\s*[,;]?\s*" + _VALUE_OF, re.S), re.compile(_VALUE_OF + rb"\s*[,;]?\s*" + _NAME_OF, re.S))
+#: Leaves that describe a secret instead of holding it.
+DESCRIBES = frozenset("name type kind id user username login email host hostname server port url uri path file filename version region zone env environment description comment label algorithm alg hash created updated expires expiry date time issuer audience scope scopes role policy length size min max regex pattern format provider engine image schema ref arn title message hint source target".split())
 BLOCK_NAME = re.compile(rb"(?P<key>[A-Za-z_][\w.-]*)\\?[\"']?(?:\s+\"(?P<label>[\w.-]+)\")?\s*[:=]?\s*\Z")
 PRIVATE = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)", re.S)
 # Never secret, whatever is in them: public keys, checksums, embedded data.
@@ -136,6 +145,49 @@ def name_class(key: str) -> str:
     return "weak" if words[-1] in WEAK_NAMES else ""
 
 
+def parent_class(parents: list[str]) -> str:
+    """pass, token or '' by the nearest sensitive parent, plural or not."""
+    for parent in reversed(parents):
+        if (kind := name_class(parent)) in ("pass", "token") or (kind := name_class(parent.removesuffix("s"))) in ("pass", "token"):
+            return kind
+    return ""
+
+
+def _scopes(data: bytes) -> list[tuple[int, int, list[str]]]:
+    """First byte, end and names of the blocks, indented parents and sections, outer ones first."""
+    out = []
+
+    def names(*parts: bytes | None) -> list[str]:
+        return [w for p in parts if p for w in p.decode("utf-8", "replace").replace('"', "").split(".") if w]
+
+    opened: list[int] = []
+    for m in BRACE.finditer(data):
+        if m.group() == b"{":
+            opened.append(m.end())
+        elif opened:
+            a = opened.pop()
+            if name := BLOCK_NAME.search(data[max(0, a - 121) : a - 1]):
+                out.append((a, m.start(), names(name.group("key"), name.group("label"))))
+    for m in YAML_PARENT.finditer(data):
+        if not parent_class(names(m.group("key"))):
+            continue  # other names decide nothing
+        depth, at = len(m.group("indent")), m.end()
+        while at < len(data):
+            end = data.find(b"\n", at) + 1 or len(data)
+            line = data[at:end]
+            body = line.lstrip(b" \t")
+            if body.strip() and (len(line) - len(body) < depth or len(line) - len(body) == depth and not body.startswith(b"- ")):
+                break
+            at = end
+        out.append((m.end(), at, names(m.group("key"))))
+    for m in SECTION.finditer(data):
+        at = m.end() + 1
+        while at < len(data) and (line := SECTION_LINE.match(data, at)) and line.end() > at:
+            at = line.end()
+        out.append((m.end(), at, names(m.group("key"))))
+    return sorted(out, key=lambda s: (s[0], -s[1]))
+
+
 @dataclass(frozen=True)
 class Finding:
     start: int  # byte offsets
@@ -176,20 +228,27 @@ def find(data: bytes) -> list[Finding]:
         if a < b and free(a, b):
             found.append(Finding(a, b, path))
 
-    blocks = []
-    for m in BLOCK.finditer(data):
-        if name := BLOCK_NAME.search(data[max(0, m.start() - 120) : m.start()]):
-            blocks.append((m.start("body"), m.end("body"), ".".join(g.decode("utf-8", "replace") for g in name.group("key", "label") if g)))
+    scopes = _scopes(data)
+
+    def parents(at: int) -> list[str]:
+        return [p for a, b, names in scopes if a <= at < b for p in names]
 
     def path_of(key: str, at: int) -> str:
-        return ".".join([p for a, b, p in blocks if a <= at < b] + [key])
+        return ".".join([*parents(at), key])
+
+    def kind_at(key: str, at: int) -> str:
+        """The class of a path: of its leaf, else of its parents."""
+        kind = name_class(key)
+        if kind in ("", "weak") and scopes and key.lower().replace("_", "").replace("-", "") not in DESCRIBES:
+            return parent_class(parents(at)) or kind
+        return kind
 
     at = 0
     while m := ASSIGN.search(data, at):
         at = m.start("key") + max(1, len(m.group("key")))
         a, b, quoted = _span(m)
         key = m.group("key").decode("utf-8", "replace")
-        kind = name_class(key)
+        kind = kind_at(key, a)
         if not kind:
             continue
         value = data[a:b]
@@ -208,6 +267,14 @@ def find(data: bytes) -> list[Finding]:
         if _accept(kind, value, loose=named):
             add(a, b, path_of(key, a))
             at = max(at, b)
+    if b"value" in data:
+        for pattern in NAMED_VALUES:
+            for m in pattern.finditer(data):
+                key = m.group("key").decode("utf-8", "replace")
+                kind = name_class(key)
+                a, b, _ = _span(m)
+                if kind and b" " not in data[a:b] and _accept(kind, data[a:b]):
+                    add(a, b, path_of(key, a))
     for pattern, sign in ((XML_ATTR, b"<"), (XML_ELEMENT, b"</"), (QUERY, b"="), (SPACED, b""), (OPTION, b"-")):
         if sign not in data:
             continue

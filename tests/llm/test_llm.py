@@ -107,3 +107,23 @@ def test_knn_group_over_many_cells(spark):
     np.fill_diagonal(s, -9)
     want = {(f"s{i:04d}", f"s{j:04d}") for i in range(1200) for j in np.argsort(-s[i], kind="stable")[:3]}
     assert len(got & want) > 0.995 * len(want)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'variable "db_password" { default = "Velvet-quartz56!" }',
+        '{"name": "DB_PASSWORD", "value": "Velvet-quartz56!"}',
+        "- value: Velvet-quartz56!\n  name: DB_PASSWORD\n",
+        "password:\n  prod: Velvet-quartz56!\nother: x\n",
+        "[app.passwords]\nprod = Velvet-quartz56!\n",
+        '{"password": {"envs": {"prod": "Velvet-quartz56!"}}}',
+    ],
+)
+def test_secret_below_a_sensitive_parent(text):
+    assert [text.encode()[f.start : f.end] for f in secrets.find(text.encode())] == [b"Velvet-quartz56!"]
+
+
+def test_no_secret_beside_a_sensitive_parent():
+    for text in ("password:\n  host: db-primary01\nzone: north-west42\n", "[passwords]\n\nThe build b7Fast42x is out.\n", '{"token": {"type": "Opaque2x"}, "build": "b7Fast42x"}'):
+        assert secrets.find(text.encode()) == []
