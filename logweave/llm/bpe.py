@@ -174,17 +174,19 @@ class Lexicon:
 class Encoder:
     """Ids of texts: words through the lexicon, the rest by exact merges; kept words are bounded."""
 
-    def __init__(self, ranks: dict[bytes, int], lexicon: Lexicon | None):
-        self.ranks, self.lexicon = ranks, lexicon
+    def __init__(self, ranks: dict[bytes, int], lexicon: Lexicon | None, most: int = CACHE_WORDS):
+        self.ranks, self.lexicon, self.most = ranks, lexicon, most
         self.known: dict[str, tuple[int, ...]] = {}
 
     def learn(self, words: Iterable[str]) -> None:
-        new = [w for w in set(words) if w not in self.known]
+        """Afterwards ``known`` holds the ids of all these words, whatever it had to forget."""
+        words = set(words)
+        new = [w for w in words if w not in self.known]
         if not new:
             return
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = list(set(words))
+            new = list(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
         numbers = self.lexicon.numbers(raw) if self.lexicon else np.full(len(raw), -1)
         for w, b, i in zip(new, raw, numbers.tolist(), strict=True):
@@ -200,15 +202,23 @@ class Encoder:
 # On Spark -----------------------------------------------------------------------------------
 
 _open: dict = {}
+_ranks: dict = {}
+MOST_OPEN = 3
 
 
 def encoder_of(name: str | None, vocabulary: str) -> Encoder:
-    """One encoder per worker process; the lexicon stays mapped."""
+    """An encoder of this worker process; the few used last stay, so that queries may take turns."""
     key = (name, vocabulary)
-    if key not in _open:
-        _open.clear()
-        _open[key] = Encoder(load_ranks(vocabulary), Lexicon(SparkFiles.get(name)) if name else None)
-    return _open[key]
+    encoder = _open.pop(key, None)
+    if encoder is None:
+        if vocabulary not in _ranks:
+            _ranks.clear()
+            _ranks[vocabulary] = load_ranks(vocabulary)
+        while len(_open) >= MOST_OPEN:
+            _open.pop(next(iter(_open)))
+        encoder = Encoder(_ranks[vocabulary], Lexicon(SparkFiles.get(name)) if name else None)
+    _open[key] = encoder
+    return encoder
 
 
 def frequent_words(texts: DataFrame, text_col: str = "text", most: int = LEXICON_WORDS) -> DataFrame:

@@ -29,6 +29,28 @@ def test_merge_is_by_rank_and_lexicon_agrees():
     assert [list(lexicon.ids_of(i)) for i in numbers[:4]] == [bpe.merge(w, ranks) for w in words]
 
 
+def test_encoder_that_forgets_still_knows_the_words_at_hand():
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 300}
+    small = bpe.Encoder(ranks, None, most=3)
+    for texts in (["one two"], ["three four five six seven", None, ""], ["ab ab", "one"]):
+        got = small.encode(texts)
+        assert got == bpe.Encoder(ranks, None).encode(texts)
+        assert [bytes(b for i in row for b in (b"ab" if i == 300 else bytes([i]))).decode() for row in got] == [t or "" for t in texts]
+
+
+def test_encode_texts_round_trip(spark):
+    """Against a public implementation, with null, empty, blank, long and repeated texts and a clashing column."""
+    import tiktoken
+
+    ranks = bpe.load_ranks()
+    want = tiktoken.Encoding("plain", pat_str=bpe.PATTERN.replace(r"\p{White_Space}", r"\s").replace(r"\P{White_Space}", r"\S"), mergeable_ranks=ranks, special_tokens={})
+    texts = [None, "", "  \n", "Grüße 你好 <|endoftext|> it's 42", "ab " * 3000, "x" * 5000, "x" * 5000]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    got = {r.doc_id: r.ids for r in bpe.encode_texts(df, lexicon=bpe.build_lexicon(df)).collect()}
+    assert [got[i] for i in range(len(texts))] == [want.encode(t, disallowed_special=()) if t else [] for t in texts]
+    assert bpe.encode_texts(df.limit(0)).count() == 0
+
+
 def test_packing():
     r = random.Random(1)
     packer, used = packing.Packer(100), {}
