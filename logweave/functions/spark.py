@@ -10,13 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of its own is set only where none is."""
+    """The shared folder of the session, from ``spark.checkpoint.dir``.
+
+    A folder of its own is made only where driver and workers are one process; on a cluster
+    without a shared folder this raises, since a machine-local one is lost with its machine.
+    """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"logweave-{os.getpid()}")
     context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
@@ -28,8 +34,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared folder instead of being computed again."""
+    """The same rows, read from the shared folder instead of being computed again.
+
+    The written rows are removed once no plan refers to them any more.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 

@@ -39,18 +39,27 @@ def find_session(files: DataFrame, sid: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path``, ``sid``, ``line_no``, ``value``, ``mtime``.  Files may be split: lines are numbered by block and place in it."""
+    """``path``, ``sid``, ``line_no``, ``value``, ``mtime``.
+
+    Files may be split.  Lines are numbered within their split (a bounded stretch of a file), and
+    the lines of the splits before it are added, so no file ends in one task.  A line that is no
+    valid UTF-8 keeps its number and is left out.
+    """
     lines = spark.read.option("lineSep", "\n").text(paths)
     lines = lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
-        F.regexp_replace("value", "\r$", "").alias("value"),
+        F.is_valid_utf8("value").alias("sound"),  # before anything decodes and so repairs it
+        "value",
         F.col("_metadata.file_modification_time").alias("mtime"),
     )
-    order = Window.partitionBy("path").orderBy("block", "place")
-    lines = lines.withColumn("line_no", (F.row_number().over(order) - 1).cast("long"))
-    return lines.where(F.is_valid_utf8("value")).select("path", _stem(F.col("path")).alias("sid"), "line_no", "value", "mtime")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("path", "block").orderBy("place")))
+    sizes = lines.groupBy("path", "block").agg(F.max("n").alias("size"))  # one row per split
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("path", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
+    lines = lines.where("sound").join(bases, ["path", "block"])
+    return lines.select("path", _stem(F.col("path")).alias("sid"), (F.col("base") + F.col("n") - 1).cast("long").alias("line_no"), F.regexp_replace("value", "\r$", "").alias("value"), "mtime")
 
 
 def _nested(flat: pa.Array, owner: np.ndarray, n: int) -> pa.Array:
