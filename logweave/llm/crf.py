@@ -3,7 +3,9 @@
 Texts become tokens by character classes (runs of letters, split at camel case; runs of digits;
 single signs), all in arrays.  A token's features depend on its type alone, so they are computed
 once per distinct type of a batch and taken for each token and its neighbours; how the coarse
-shapes of neighbouring tokens combine is a second set of weights.  Training maximises the
+shapes of neighbouring tokens combine is a second set of weights.  What depends on more than one
+token (the shape of a whole number, announcing words before it) comes through channels: arrays
+that give each token one slot of a fixed width.  Training maximises the
 conditional likelihood with AdaGrad; decoding is Viterbi over chains of similar length at once.
 """
 
@@ -102,6 +104,7 @@ class Model:
     trans: np.ndarray  # (labels + 1, labels): the last row is the start
     coarse: int
     extract: Callable[[str], tuple[list[str], int]] = field(repr=False, default=None)
+    channel_weights: np.ndarray | None = None  # (channels, width, labels)
 
     def emissions(self, t: Tokens, type_id: np.ndarray, types: list[str]) -> np.ndarray:
         n, labels = len(type_id), len(self.labels)
@@ -121,6 +124,9 @@ class Model:
                 out[a:b][near] += table[type_id[a + o : b + o][near], o + REACH]
         out += self.coarse_weights[trigrams(shape[type_id], t.doc, self.coarse)]
         out += self.spaced_weights[spacing(t)]
+        if self.channel_weights is not None:
+            for w, slot in zip(self.channel_weights, self.extract.channels(t, type_id, types), strict=True):
+                out += w[slot]
         return out
 
 
@@ -176,16 +182,53 @@ def viterbi(emit: np.ndarray, chain: np.ndarray, trans: np.ndarray) -> np.ndarra
     return out
 
 
-def fit(rows: list[tuple], labels: list[str], extract, coarse: int, label_of: Callable, rounds: int = 50, rate: float = 0.3, decay: float = 0.8, least: int = 4) -> Model:
-    """Maximises the penalised conditional likelihood of labelled texts.
+class _Batch:
+    """A share of the training texts, laid out for one step."""
+
+    def __init__(self, t: Tokens, at: np.ndarray, type_id: np.ndarray, ids_of: list[list[int]], tri: np.ndarray, sp: np.ndarray, slots: list[np.ndarray], y: np.ndarray, k: int):
+        self.tri, self.sp, self.slots, self.n = tri[at], sp[at], [x[at] for x in slots], len(at)
+        own, local = np.unique(type_id[at], return_inverse=True)
+        self.types = len(own)
+        self.ft = np.array([i for i, o in enumerate(own) for _ in ids_of[o]], dtype=np.int64)
+        self.ff = np.array([f for o in own for f in ids_of[o]], dtype=np.int64)
+        self.by_feature = np.argsort(self.ff, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(self.ff[self.by_feature]) > 0]))
+        self.feature_heads, self.used_features = heads, self.ff[self.by_feature][heads]
+        self.with_features, self.type_heads = np.unique(self.ft, return_index=True)
+        doc, n = t.doc[at], self.n
+        self.near = []  # by offset: tokens, their neighbours' types, and how to sum over equal types
+        for o in range(-REACH, REACH + 1):
+            a, b = max(0, -o), min(n, n - o)
+            here = a + np.flatnonzero(doc[a:b] == doc[a + o : b + o])
+            src = local[here + o]
+            by = np.argsort(src, kind="stable")
+            heads = np.flatnonzero(np.concatenate([[True], np.diff(src[by]) > 0]))
+            self.near.append((here, src, here[by], heads, src[by][heads]))
+        # Longest first, so that the chains still running at a step are the first rows.
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        size = np.diff(np.concatenate([first, [n]]))
+        order = np.argsort(-size, kind="stable")
+        self.first, size = first[order], size[order]
+        self.live = [int(np.searchsorted(-size, -s, side="left")) for s in range(int(size.max()))]
+        self.gold = np.zeros((n, k))
+        self.gold[np.arange(n), y[at]] = 1
+        prev = np.concatenate([[k], y[at][:-1]])
+        prev[first] = k
+        self.gold_tr = np.zeros((k + 1, k))
+        np.add.at(self.gold_tr, (prev, y[at]), 1)
+
+
+def fit(rows: list[tuple], labels: list[str], extract, coarse: int, label_of: Callable, rounds: int = 10, batches: int = 12, rate: float = 0.25, decay: float = 0.8, least: int = 4, width: int = 0) -> Model:
+    """Maximises the penalised conditional likelihood of labelled texts, some of them at a time.
 
     ``rows`` start with the text; ``label_of(tokens)`` gives the label number of every token.  A
-    feature counts if ``least`` training types or more have it or if it is no word of its own.
+    feature counts if ``least`` training types or more have it or if it is no word of its own.  With
+    ``width`` the extractor's ``channels`` take part.
     """
     t = tokenize([r[0] for r in rows])
     type_id, types = types_of(t)
     y = label_of(t)
-    n, k, span = len(type_id), len(labels), 2 * REACH + 1
+    k, span = len(labels), 2 * REACH + 1
     seen = np.bincount(type_id, minlength=len(types))
     named = [extract(word) for word in types]
     shape = np.array([c for _, c in named], dtype=np.int64)
@@ -194,82 +237,87 @@ def fit(rows: list[tuple], labels: list[str], extract, coarse: int, label_of: Ca
         for f in names:
             count[f] = count.get(f, 0) + int(c)
     features = {f: i for i, f in enumerate(f for f, c in count.items() if c >= least)}
-    ft = np.array([i for i, (names, _) in enumerate(named) for f in names if f in features], dtype=np.int64)
-    ff = np.array([features[f] for names, _ in named for f in names if f in features], dtype=np.int64)
-    by_feature = np.argsort(ff, kind="stable")
-    feature_heads = np.flatnonzero(np.concatenate([[True], np.diff(ff[by_feature]) > 0]))
-    with_features, type_heads = np.unique(ft, return_index=True)
+    ids_of = [[features[f] for f in names if f in features] for names, _ in named]
     tri, tri_used = np.unique(trigrams(shape[type_id], t.doc, coarse), return_inverse=True)
     sp = spacing(t)
-    near = []  # by offset: tokens, their neighbours' types, and how to sum over equal types
-    for o in range(-REACH, REACH + 1):
-        a, b = max(0, -o), min(n, n - o)
-        at = a + np.flatnonzero(t.doc[a:b] == t.doc[a + o : b + o])
-        src = type_id[at + o]
-        by = np.argsort(src, kind="stable")
-        heads = np.flatnonzero(np.concatenate([[True], np.diff(src[by]) > 0]))
-        near.append((at, src, at[by], heads, src[by][heads]))
+    slots, used = [], []
+    for slot in extract.channels(t, type_id, types) if width else []:
+        own, local = np.unique(slot, return_inverse=True)
+        slots.append(local)
+        used.append(own)
+    shares = [_Batch(t, at, type_id, ids_of, tri_used, sp, slots, y, k) for b in range(batches) if len(at := np.flatnonzero(t.doc % batches == b))]
     w = np.zeros((span, len(features), k))
     wc, ws, tr = np.zeros((len(tri), k)), np.zeros((8, k)), np.zeros((k + 1, k))
-    sums = [np.full_like(x, 1e-8) for x in (w, wc, ws, tr)]
-    # Longest first, so that the chains still running at a step are the first rows.
-    first = np.flatnonzero(np.concatenate([[True], t.doc[1:] != t.doc[:-1]]))
-    size = np.diff(np.concatenate([first, [n]]))
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    live = [int(np.searchsorted(-size, -s, side="left")) for s in range(int(size.max()))]
-    gold = np.zeros((n, k))
-    gold[np.arange(n), y] = 1
-    prev_y = np.concatenate([[k], y[:-1]])
-    prev_y[first] = k
-    gold_tr = np.zeros((k + 1, k))
-    np.add.at(gold_tr, (prev_y, y), 1)
+    wx = [np.zeros((len(own), k)) for own in used]
+    weights = [w, wc, ws, tr, *wx]
+    sums = [np.full_like(x, 1e-8) for x in weights]
     for _ in range(rounds):
-        emit = wc[tri_used] + ws[sp]
-        for o, (at, src, *_) in enumerate(near):
-            table = np.zeros((len(types), k))
-            table[with_features] = np.add.reduceat(w[o][ff], type_heads, axis=0)
-            emit[at] += table[src]
-        e = np.exp(emit - emit.max(1, keepdims=True))
-        step, begin = np.exp(tr[:-1]), np.exp(tr[-1])
-        alpha, scale = np.zeros((n, k)), np.zeros(n)
-        for s, m in enumerate(live):
-            at = first[:m] + s
-            x = (alpha[at - 1] @ step if s else np.broadcast_to(begin, (m, k))) * e[at]
-            scale[at] = x.sum(1)
-            alpha[at] = x / scale[at, None]
-        beta = np.ones((len(first), k))
-        p, exp_tr = np.zeros((n, k)), np.zeros((k + 1, k))
-        for s in range(len(live) - 1, -1, -1):
-            m = live[s]
-            at = first[:m] + s
-            p[at] = alpha[at] * beta[:m]
-            if s:
-                x = e[at] * beta[:m] / scale[at, None]
-                exp_tr[:-1] += step * (alpha[at - 1].T @ x)
-                beta[:m] = x @ step.T
-        exp_tr[-1] = p[first].sum(0)
-        d = gold - p
-        gw = np.zeros_like(w)
-        for o, (_, _, sorted_at, heads, which) in enumerate(near):
-            dt = np.zeros((len(types), k))
-            dt[which] = np.add.reduceat(d[sorted_at], heads, axis=0)
-            gw[o] = np.add.reduceat(dt[ft[by_feature]], feature_heads, axis=0)
-        gc, gs = np.zeros_like(wc), np.zeros_like(ws)
-        np.add.at(gc, tri_used, d)
-        np.add.at(gs, sp, d)
-        for x, g, q in zip((w, wc, ws, tr), (gw, gc, gs, gold_tr - exp_tr), sums, strict=True):
-            g = g - decay * x
-            q += g * g
-            x += rate * g / np.sqrt(q)
+        for s in shares:
+            gradients = _gradients(s, w, wc, ws, tr, wx)
+            for x, g, q in zip(weights, gradients, sums, strict=True):
+                g -= decay / len(shares) * x
+                q += g * g
+                x += rate * g / np.sqrt(q)
     full = np.zeros((coarse**3, k), dtype=np.float32)
     full[tri] = wc
+    channels = np.zeros((len(used), width, k), dtype=np.float32)
+    for c, (own, x) in enumerate(zip(used, wx, strict=True)):
+        channels[c, own] = x
     # A run goes on only with its own kind.
     for i in range(k + 1):
         for j, to in enumerate(labels):
             if to[0] == "I" and (i == k or labels[i][1:] != to[1:]):
                 tr[i, j] = -1e4
-    return Model(labels, features, w.astype(np.float32), full, ws.astype(np.float32), tr.astype(np.float32), coarse, extract)
+    return Model(labels, features, w.astype(np.float32), full, ws.astype(np.float32), tr.astype(np.float32), coarse, extract, channels if width else None)
+
+
+def _gradients(s: _Batch, w: np.ndarray, wc: np.ndarray, ws: np.ndarray, tr: np.ndarray, wx: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the log likelihood of a batch, by forward and backward passes over its chains side by side."""
+    n, k = s.n, len(tr) - 1
+    emit = wc[s.tri] + ws[s.sp]
+    for x, slot in zip(wx, s.slots, strict=True):
+        emit += x[slot]
+    for o, (at, src, *_) in enumerate(s.near):
+        table = np.zeros((s.types, k))
+        table[s.with_features] = np.add.reduceat(w[o][s.ff], s.type_heads, axis=0)
+        emit[at] += table[src]
+    e = np.exp(emit - emit.max(1, keepdims=True))
+    step, begin = np.exp(tr[:-1]), np.exp(tr[-1])
+    alpha, scale = np.zeros((n, k)), np.zeros(n)
+    for i, m in enumerate(s.live):
+        at = s.first[:m] + i
+        x = (alpha[at - 1] @ step if i else np.broadcast_to(begin, (m, k))) * e[at]
+        scale[at] = x.sum(1)
+        alpha[at] = x / scale[at, None]
+    beta = np.ones((len(s.first), k))
+    p, exp_tr = np.zeros((n, k)), np.zeros((k + 1, k))
+    for i in range(len(s.live) - 1, -1, -1):
+        m = s.live[i]
+        at = s.first[:m] + i
+        p[at] = alpha[at] * beta[:m]
+        if i:
+            x = e[at] * beta[:m] / scale[at, None]
+            exp_tr[:-1] += step * (alpha[at - 1].T @ x)
+            beta[:m] = x @ step.T
+    exp_tr[-1] = p[s.first].sum(0)
+    d = s.gold - p
+    gw = np.zeros_like(w)
+    for o, (_, _, sorted_at, heads, which) in enumerate(s.near):
+        dt = np.zeros((s.types, k))
+        dt[which] = np.add.reduceat(d[sorted_at], heads, axis=0)
+        gw[o, s.used_features] = np.add.reduceat(dt[s.ft[s.by_feature]], s.feature_heads, axis=0)
+    out = [gw]
+    for slot, like in ((s.tri, wc), (s.sp, ws)):
+        g = np.zeros_like(like)
+        np.add.at(g, slot, d)
+        out.append(g)
+    out.append(s.gold_tr - exp_tr)
+    for slot, like in zip(s.slots, wx, strict=True):
+        g = np.zeros_like(like)
+        for j in range(k):
+            g[:, j] = np.bincount(slot, d[:, j], minlength=len(like))
+        out.append(g)
+    return out
 
 
 def spans(labels: np.ndarray, doc: np.ndarray, names: list[str]) -> Iterator[tuple[int, int, str]]:
