@@ -131,6 +131,8 @@ class Shapes:
         case = "U" if word.isupper() and len(word) > 1 else "T" if word[0].isupper() else "l"
         names = [case, f"{case}{min(len(word), 8)}", "w=" + low[:16], "e=" + low[-3:], "b=" + low[:3]]
         coarse = {"l": 1, "T": 2, "U": 3}[case]
+        cue = _CUES.get(low, 0)
+        names += [f"cue{bit}" for bit in (PHONE, ID, OTHER, NAME, PLACE, LOGIN, THING) if cue & bit]
         if len(word) == 1:
             names.append("one" + case)
             return names, 4 if word.isupper() else 5
@@ -287,7 +289,7 @@ class Shapes:
             h(num_digits, start_kind, n_groups, numbered),
             _slot(code_shape),
             h(before, kind, numbered),
-            h(near, num_digits, numbered),
+            h(near, num_digits, numbered, kind),
             h(after, kind, numbered),
             h(mail, kind),
             h(streets, kind),
