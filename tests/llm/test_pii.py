@@ -35,8 +35,8 @@ def model():
 def cases():
     maker = pii_table.Maker(GIVEN, SURNAMES, 4242)
     rng = random.Random(8)
-    make = {"email": maker.email, "phone": maker.phone, "id_number": maker.id, "address": maker.address, "name": lambda: f"{rng.choice(GIVEN)} {rng.choice(SURNAMES)}", "unknown name": lambda: rng.choice(OTHERS)}
-    for kind, frames in [*FRAMES.items(), ("unknown name", FRAMES["name"])]:
+    make = {"email": maker.email, "phone": maker.phone, "id_number": maker.id, "address": maker.address, "name": lambda: rng.choice(OTHERS) if rng.random() < 0.3 else f"{rng.choice(GIVEN)} {rng.choice(SURNAMES)}"}
+    for kind, frames in FRAMES.items():
         for frame in frames:
             for _ in range(12):
                 lead = rng.choice(["", rng.choice(NONE) + "\n"])
@@ -54,14 +54,12 @@ def test_no_frame_is_trained_on():
 def test_held_out_sentences(model):
     found, missed, false = Counter(), Counter(), Counter()
     every = list(cases())
-    for (_, at, group), items in zip(every, pii.find_items([c[0] for c in every], model), strict=True):
-        got, kind = {(a, k) for a, _, k in items}, group.split()[-1]
-        found[group] += (at, kind) in got
-        missed[group] += (at, kind) not in got
+    for (_, at, kind), items in zip(every, pii.find_items([c[0] for c in every], model), strict=True):
+        got = {(a, k) for a, _, k in items}
+        found[kind] += (at, kind) in got
+        missed[kind] += (at, kind) not in got
         for _, k in got - {(at, kind)}:
             false[k] += 1
-    # Without the gazetteer only the words around tell a name.
-    assert found["unknown name"] >= 0.35 * (found["unknown name"] + missed["unknown name"]), (found, missed)
     for kind in pii.KINDS:
         assert found[kind] >= 0.9 * (found[kind] + missed[kind]), (kind, found, missed)
         assert found[kind] >= 0.9 * (found[kind] + false[kind]), (kind, found, false)
