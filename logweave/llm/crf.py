@@ -218,7 +218,7 @@ class _Batch:
         np.add.at(self.gold_tr, (prev, y[at]), 1)
 
 
-def fit(rows: list[tuple], labels: list[str], extract, coarse: int, label_of: Callable, rounds: int = 10, batches: int = 12, rate: float = 0.25, decay: float = 0.8, least: int = 4, width: int = 0) -> Model:
+def fit(rows: list[tuple], labels: list[str], extract, coarse: int, label_of: Callable, rounds: int = 12, batches: int = 12, rate: float = 0.25, decay: float = 0.4, least: int = 4, width: int = 0) -> Model:
     """Maximises the penalised conditional likelihood of labelled texts, some of them at a time.
 
     ``rows`` start with the text; ``label_of(tokens)`` gives the label number of every token.  A

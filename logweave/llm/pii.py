@@ -282,6 +282,21 @@ class Shapes:
         newline[0] = newline[n] = True
         newline[:n] |= ~same
         lines = newline[:n] * 1 + newline[1:] * 2
+        # The words before and after, signs aside, together with the case of this one.
+        words_at = np.where(alpha, i, -1)
+        last_word = np.concatenate([[-1], np.maximum.accumulate(words_at)[:-1]])
+        last_word = np.where(last_word >= doc_first, last_word, -1)
+        second_last = np.where(last_word >= 0, last_word[last_word], -1)
+        next_word = np.minimum.accumulate(np.where(alpha, i, n)[::-1])[::-1]
+        next_word = np.concatenate([next_word[1:], [n]])
+        next_word = np.where((next_word < doc_last) & (next_word - i <= 3), next_word, -1)
+        announce = cue & (NAME | PLACE | OTHER)
+        said = np.where((last_word >= 0) & (i - last_word <= 4), announce[last_word], 0)
+        said_before = np.where((second_last >= 0) & (i - second_last <= 6), announce[second_last], 0)
+        case_next = np.where(next_word >= 0, kind[next_word], 7)
+        case_last = np.where(last_word >= 0, kind[last_word], 7)
+        sign_before = np.zeros(n, dtype=np.int64)
+        sign_before[1:] = np.where(same[1:] & ~alpha[:-1], t.cp[t.start[:-1]], 0)
         numbered = np.where(in_number & (num_digits > 2), 1, np.where(in_code, 2, 0))
         h = lambda *parts: _slot(sum((p.astype(np.uint64) + np.uint64(1)) * _SEEDS[j] for j, p in enumerate(parts)))
         return [
@@ -296,10 +311,13 @@ class Shapes:
             h(near, num_shape),
             h(before & (ID | PHONE | OTHER), code_shape),
             h(lines, kind),
+            h(said, kind, case_next),
+            h(said_before, case_last, kind),
+            h(sign_before, kind, case_next, lines),
         ]
 
 
-CHANNELS = 11
+CHANNELS = 14
 
 
 def _label_of(rows):

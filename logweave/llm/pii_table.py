@@ -243,7 +243,7 @@ class Maker:
                 "name": [f"{r.choice(TITLES)} ", f"{cue} {r.choice(['', 'is ', 'was '])}", f"{r.choice(['by', 'with', 'from', 'met', 'asked', 'called', 'thanks to', 'signed', 'this is', 'I am', 'for', 'told', 'said', 'talk to', 'spoke to', 'Reviewed by', 'written by', 'approved by', 'meeting with', 'ask', 'von', 'mit', 'de', 'avec', 'con', 'por', 'and', 'to', 'Gruß,', 'Regards,', 'Hello', 'Hallo', 'Merci,', 'Saludos,', 'Best,', 'Cheers,', 'Bonjour', 'Liebe', 'Estimado'])} ", f"{self.words(1, 2)} ", f"{self.made_up().capitalize()}, ", f"{self.made_up().capitalize()} {r.choice(['for', 'of', 'by', 'with', 'to', 'from'])} "],
                 "address": [f"{cue} {r.choice(['', 'is ', 'was '])}", f"{r.choice(['lives at', 'living at', 'send it to', 'ship to', 'moved to', 'delivered to', 'wohnt in der', 'wohnhaft', 'vive en', 'habite', 'parcel for', 'located at', 'find us at', 'meet at', 'visit'])} ", f"{self.words(1, 2)} "],
             }[kind]
-            before = r.choice(["", self.words(1, 3) + " "]) + r.choice([*lead[:2], r.choice(["met", "asked", "called", "thanks to", "signed", "this is", "I am", "told", "said", "talk to", "spoke to", "Reviewed by", "written by", "approved by", "meeting with", "Regards,", "Hello", "Hallo", "Best,"]) + " "] if announced else lead)
+            before = r.choice(["", self.words(1, 3) + " "]) + r.choice([*lead[:2], r.choice(["met", "asked", "called", "thanks to", "signed", "this is", "I am", "told", "said", "talk to", "spoke to", "Reviewed by", "written by", "approved by", "meeting with", "by", "by", f"{self.made_up()}ed by", "behalf of", "letter from", "message for", "Regards,", "Hello", "Hallo", "Best,"]) + " "] if announced else lead)
             after = r.choice(["", ".", ",", " " + self.words(1, 3), ", " + self.words(1, 4) + ".", " " + self.words(1, 2) + "?", "; " + self.words(1, 2), " (" + self.words(1, 2) + ")", "!"])
             if kind == "name":
                 after = r.choice([after, after, r.choice([" wrote", " says", " asked for", " called", " is out", "'s " + self.words(1, 1), " and " + self.words(1, 2), " will " + self.words(1, 2), " reported", " approved", f" {self.made_up()}ed", f" {self.made_up()} {self.words(1, 2)}", " cannot log in", " fragt", " llamó", " a validé"]) + self.r.choice(["", ".", " " + self.words(1, 3)])])
@@ -287,7 +287,7 @@ class Maker:
 def labelled_rows(given: list[str], surnames: list[str], size: int = 560, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with their spans (first, end, kind): ``size`` for each kind, and a share without any item."""
     m = Maker(given, surnames, seed)
-    rows = [m.row(k) for k in ("name", "email", "phone", "id_number", "address") for _ in range(size * 5 // 2 if k == "name" else size)]
+    rows = [m.row(k) for k in ("name", "email", "phone", "id_number", "address") for _ in range(size * 3 if k == "name" else size)]
     rows += [(" ".join(m.none() for _ in range(3)), []) for _ in range(size)]
     rows += [m.path(k) for k, n in (("name", size), ("email", size // 8), ("phone", size // 8), (None, size // 2)) for _ in range(n)]
     return rows
