@@ -149,3 +149,21 @@ def test_secret_below_a_sensitive_parent(text):
 def test_no_secret_beside_a_sensitive_parent():
     for text in ("password:\n  host: db-primary01\nzone: north-west42\n", "[passwords]\n\nThe build b7Fast42x is out.\n", '{"token": {"type": "Opaque2x"}, "build": "b7Fast42x"}'):
         assert secrets.find(text.encode()) == []
+
+
+def _grouped(spark, rows: int, size: int = 20, dim: int = 64):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(rows // size, dim)), size, axis=0) + 0.4 * rng.normal(size=(rows, dim))
+    x = x[rng.permutation(rows)].astype(np.float32)
+    return x, spark.createDataFrame([(f"s{i:05d}", x[i].tolist()) for i in range(rows)], "sid string, embedding array<float>")
+
+
+def test_knn_is_exact_when_the_sample_misses_groups(spark):
+    """Nothing that is fitted on the sample may decide which neighbours are found."""
+    x, df = _grouped(spark, 1200)
+    near = knn.nearest(df, 5, dim=64, settings=knn.Settings(block=128, sample=20))
+    got = {(r.id, r["rank"]): r.other for r in near.collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    assert got == {(f"s{i:05d}", j + 1): f"s{o:05d}" for i in range(1200) for j, o in enumerate(np.argsort(-s[i], kind="stable")[:5])}
