@@ -1,7 +1,7 @@
 """Problem 6: the k most similar vectors for every vector, by cosine.
 
-The rows are parted into blocks of about a thousand around centroids, so that what is alike mostly
-comes to lie together.  Each block is parted again into cells: a row and all that lie within half
+The rows are parted into blocks of up to about a thousand around one or several near centroids, so
+that what is alike mostly comes to lie together.  Each block is parted again into cells: a row and all that lie within half
 as much again as the angle to its k-th neighbour.  A cell keeps its centre and its widest angle.
 
 Which cells a query needs is decided by a bound and not by a number: its k-th best score so far is
@@ -50,6 +50,8 @@ SMALL_EXTRAS = 200_000
 WIDEST = np.cos(np.radians(50))  # least cosine of a cell's rows to the row it began with
 MANY = 64  # needed cells of a file of centres beyond which a query first gets a better k-th score
 CENTRES = 8192  # centres aimed at per file
+PER_CENTROID = 256  # rows; with more, centroids are means of so many groups that they tear groups apart
+MOST_SAMPLE = 65_536
 
 
 @dataclass(frozen=True)
@@ -57,8 +59,8 @@ class Settings:
     cell_size: int = 16  # without effect since cells follow the neighbours' angles; still accepted
     most_cells: int = 8192  # bounds the centroids, which go to every task (13 MB at 384 numbers)
     probes: int = 12  # without effect since the bound decides; still accepted
-    block: int = 2048  # rows that one task holds, twice the mean
-    sample: int = 16_384  # rows the centroids are fitted on, or 8 for each centroid
+    block: int = 2048  # rows that one task holds, about twice the mean
+    sample: int = 16_384  # rows the centroids are fitted on, or 16 for each centroid up to MOST_SAMPLE
     rounds: int = 8
 
 
@@ -157,6 +159,24 @@ def _place(rows: DataFrame, centroids: np.ndarray, start: np.ndarray, parts: np.
     return rows.select("id", "vec").mapInArrow(run, "blk bigint, id string, vec binary")
 
 
+def _blocks(size: np.ndarray, centroids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """By centroid, of estimated ``size``: its first block and how many it has.  The nearest share a block up to half its rows."""
+    start, parts = np.full(len(size), -1), np.maximum(1, np.ceil(size / block)).astype(np.int64)
+    blocks = 0
+    for c in range(len(size)):
+        if start[c] >= 0:
+            continue
+        start[c], room = blocks, block / 2 - size[c]
+        if room > 0:
+            free = np.flatnonzero((start < 0) & (size <= room))
+            for o in free[np.argsort(-(centroids[free] @ centroids[c]), kind="stable")][:64].tolist():
+                if size[o] <= room:
+                    start[o] = blocks
+                    room -= size[o]
+        blocks += parts[c]
+    return start, parts
+
+
 def _write(folder: str, name: str, data: bytes) -> None:
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path)
@@ -423,8 +443,8 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "sid", vec_col: str =
     rows = good.count()
     if not rows:
         return spark.createDataFrame([], "id string, other string, score double, rank int")
-    cells = int(np.clip(round(2 * rows / s.block), 1, s.most_cells))
-    wanted = max(s.sample, 8 * cells)
+    cells = int(np.clip(round(rows / min(PER_CENTROID, s.block / 2)), 1, s.most_cells))
+    wanted = max(s.sample, min(16 * cells, MOST_SAMPLE))
     sample = good.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < int(min(1, wanted / rows) * (1 << 30))).toArrow()
     if not sample.num_rows:
         sample = good.limit(1).toArrow()
@@ -432,8 +452,7 @@ def nearest(vectors: DataFrame, k: int = 5, id_col: str = "sid", vec_col: str =
     drawn = _matrix(sample["vec"], dim)
     centroids = fit(drawn, cells, s.rounds)
     size = np.bincount(_nearest_centroid(_unit(drawn).astype(np.float32), centroids), minlength=len(centroids)) * (rows / len(drawn))
-    parts = np.maximum(1, np.ceil(size / s.block)).astype(np.int64)
-    start = np.cumsum(parts) - parts
+    start, parts = _blocks(size, centroids, s.block)
 
     folder = shared_folder(spark, "nearest")
     try:

@@ -167,3 +167,10 @@ def test_knn_is_exact_when_the_sample_misses_groups(spark):
     s = u @ u.T
     np.fill_diagonal(s, -9)
     assert got == {(f"s{i:05d}", j + 1): f"s{o:05d}" for i in range(1200) for j, o in enumerate(np.argsort(-s[i], kind="stable")[:5])}
+
+
+def test_knn_centroids_share_or_fill_blocks():
+    """Near small centroids share a block up to half its rows; only one larger than a block is cut."""
+    centroids = np.eye(4)[[0, 1, 0, 1, 2]] + 0.01 * np.arange(5)[:, None]
+    start, parts = knn._blocks(np.array([30.0, 30, 20, 20, 250]), centroids, 100)
+    assert start.tolist() == [0, 1, 0, 1, 2] and parts.tolist() == [1, 1, 1, 1, 3]
